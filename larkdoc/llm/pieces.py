@@ -16,6 +16,8 @@ itself, which the format can't tell from a space."""
 from __future__ import annotations
 
 import heapq
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,8 @@ from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-KNOWN = 200_000  # chunks whose ids a worker keeps
+KNOWN = 600_000  # chunks whose ids a worker keeps
+_CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Pieces:
@@ -45,14 +48,19 @@ class Pieces:
         self.unknown = sp.unk_id()
         if any(MARK in p.strip(MARK) or p.endswith(MARK) and p.strip(MARK) for p in self.rank):
             raise ValueError("a piece crosses a word's beginning")
-        self.raw = sorted((p.encode(), i) for p, (_, i) in self.rank.items())
-        self.width = max(len(r) for r, _ in self.raw)
-        self.keys = np.array([r for r, _ in self.raw], f"S{self.width}")
-        self.tops = np.array([r + b"\xff" * (self.width - len(r)) for r, _ in self.raw], f"S{self.width}")
-        self.number = np.array([i for _, i in self.raw])
-        self.size = np.array([len(r) for r, _ in self.raw])
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        raw = sorted((p.encode(), i) for p, (_, i) in self.rank.items())
+        pad = np.array([list(r[:16].ljust(16, b"\x00")) + list(r[:16].ljust(16, b"\xff")) for r, _ in raw], np.uint8).view(">u8").astype(np.uint64)
+        self.low, self.high = pad[:, :2], pad[:, 2:]
+        self.number = np.array([i for _, i in raw])
+        self.size = np.array([len(r) for r, _ in raw])
+        self.long = [(k, r) for k, (r, _) in enumerate(raw) if len(r) > 16]
+        self.none = n  # stands for a character without a piece
+        self.lengths = np.zeros(n + 1, np.int64)
+        self.lengths[self.number] = self.size
+        self.pair_keys = np.full(1 << 21, -1, np.int64)  # which pieces can stand side by side, as far as asked
+        self.pair_fits = np.zeros(1 << 21, bool)
+        self.known: dict[str, bytes] = {}
+        self.bytes = [bytes([self.unbyte[i]]) if i in self.unbyte else q.encode() for i, q in enumerate(self.piece)]
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk by merging its best neighbours, again and again."""
@@ -83,90 +91,119 @@ class Pieces:
             return [self.rank[s][1]]
         return [self.byte[b] for b in s.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
-    def _fits(self, a: int, b: int) -> bool:
-        if (a, b) not in self.fits:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            self.fits[a, b] = a < 0 or b < 0 or self.merge(self.piece[a] + self.piece[b]) == [a, b]
-        return self.fits[a, b]
-
-    def match(self, chunks: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-        """All occurrences of all pieces: (concatenated chunks, positions, sizes, piece ids), sorted by position."""
-        buf = b"\xfe".join(c.encode("utf-8", "surrogatepass") for c in chunks) + b"\xfe"
-        text = np.frombuffer(buf.replace(b"\x00", b"\xff") + bytes(self.width), np.uint8)
-        suffix = np.lib.stride_tricks.as_strided(text, (len(buf), self.width), (1, 1)).copy().view(f"S{self.width}").ravel()
-        order = np.argsort(suffix, kind="stable")
-        suffix = suffix[order]
-        a, b = np.searchsorted(suffix, self.keys, "left"), np.searchsorted(suffix, self.tops, "right")
-        n = b - a
+    def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b can follow piece a: merging their characters gives both again."""
+        key = a * (self.none + 1) + b
+        slot = (key * 0x9E3779B1 >> 7) & (len(self.pair_keys) - 1)
+        out = self.pair_fits[slot]
+        free = (a < 0) | (a == self.none) | (b == self.none)
+        miss = np.flatnonzero((self.pair_keys[slot] != key) & ~free)
+        if len(miss):
+            asked, where = np.unique(key[miss], return_inverse=True)
+            pairs = [divmod(k, self.none + 1) for k in asked.tolist()]
+            got = np.array([self.merge(self.piece[x] + self.piece[y]) == [x, y] for x, y in pairs], bool)
+            out[miss] = got[where]
+            self.pair_keys[slot[miss]], self.pair_fits[slot[miss]] = key[miss], out[miss]
+        out[free] = True
+        return out
+
+    def match(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences of all pieces in concatenated chunks: positions, sizes, piece ids."""
+        n = len(text)
+        text = np.concatenate([np.where(text == 0, 255, text).astype(np.uint8), np.zeros(64, np.uint8)])
+        first = np.lib.stride_tricks.as_strided(text, (n + 8, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((first[8:], first[:n]))
+        one, two = first[:n][order], first[8:][order]
+        bounds = []
+        for key, side in ((self.low, "left"), (self.high, "right")):
+            near, far = np.searchsorted(one, key[:, 0], "left"), np.searchsorted(one, key[:, 0], "right")
+            at = near if side == "left" else far
+            for k in np.flatnonzero((self.size > 8) & (near < far)):  # those that begin like the piece, by their second half
+                at[k] = near[k] + np.searchsorted(two[near[k] : far[k]], key[k, 1], side)
+            bounds.append(at)
+        a, b = bounds
+        n = np.maximum(b - a, 0)
         at = order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         size, who = np.repeat(self.size, n), np.repeat(self.number, n)
-        by = np.lexsort((size, at))
-        return buf, at[by], size[by], who[by]
-
-    def _relax(self, chunk: bytes, edges: list[tuple[int, int, int]]) -> list[int] | None:
-        """The one path through a chunk; None if there isn't just one."""
-        n, k = len(chunk), 0
-        paths: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]  # (last piece, where it begins, which path there)
-        paths[0].append((-1, -1, -1))
-        for i in range(n):
-            begin = k
-            while k < len(edges) and edges[k][0] == i:
-                k += 1
-            if not paths[i]:
-                continue
-            lead = chunk[i]
-            char = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            if k == begin or edges[begin][1] != char:  # the character itself is no piece
-                paths[i + char] += [(-2, i, j) for j in range(len(paths[i]))]
-            for _, size, who in edges[begin:k]:
-                paths[i + size] += [(who, i, j) for j, p in enumerate(paths[i]) if self._fits(p[0], who)]
-            if len(paths[i]) > 8:
-                return None
-        if len(paths[n]) != 1:
-            return None
-        out, i, j = [], n, 0
-        while i > 0:
-            who, b, j = paths[i][j]
-            out.append([who] if who >= 0 else self._ids(chunk[b:i].decode("utf-8", "surrogatepass")))
-            i = b
-        return [x for part in reversed(out) for x in part]
-
-    def learn(self, chunks: list[str]) -> dict[str, list[int]]:
-        """Ids of chunks that aren't known yet."""
-        out: dict[str, list[int]] = {}
+        keep = np.ones(len(at), bool)
+        ends = np.cumsum(n)
+        for k, r in self.long:  # beyond 16 bytes every occurrence is compared
+            for j in range(ends[k] - n[k], ends[k]):
+                keep[j] = text[at[j] : at[j] + len(r)].tobytes() == r
+        return at[keep], size[keep], who[keep]
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks as 32-bit numbers, all in one index; edges are relaxed from left to right in all chunks at a time."""
         if not chunks:
-            return out
-        buf, at, size, who = self.match(chunks)
-        begin = 0
-        edges = np.stack([at, size, who], 1)
-        for c in chunks:
-            end = buf.index(b"\xfe", begin)
-            e = edges[np.searchsorted(at, begin) : np.searchsorted(at, end)].copy()
-            e[:, 0] -= begin
-            got = self._relax(buf[begin:end], e.tolist())
-            out[c] = self.merge(c) if got is None else got
-            begin = end + 1
-        return out
+            return {}
+        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        text = np.frombuffer(b"\xfe".join(raw) + b"\xfe", np.uint8)
+        size = np.array([len(r) for r in raw])
+        start = np.cumsum(size + 1) - size - 1
+        owner = np.repeat(np.arange(len(raw)), size + 1)
+        at, width, who = self.match(text)
+        lead = np.flatnonzero((text & 0xC0 != 0x80) & (text != 0xFE))
+        char = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)[text[lead]]
+        alone = np.zeros(len(text), bool)
+        is_char = np.zeros(len(text), np.int64)
+        is_char[lead] = char
+        alone[at[width == is_char[at]]] = True
+        bare = ~alone[lead]
+        at, width, who = (np.concatenate(x) for x in ((at, lead[bare]), (width, char[bare]), (who, np.full(int(bare.sum()), self.none))))
+        place = at - start[owner[at]]
+        by = np.argsort(place.astype(np.uint16) if place.max(initial=0) < 65536 else place, kind="stable")
+        at, width, who, place = at[by], width[by], who[by], place[by]
+        last = np.full(len(text), -9, np.int64)  # the last piece of the path that ends here
+        back = np.zeros(len(text), np.int64)
+        many = np.zeros(len(text), bool)
+        last[start] = -1
+        cuts = np.flatnonzero(np.diff(place, prepend=-1))
+        for i, j in zip(cuts, [*cuts[1:], len(place)], strict=True):
+            reached = last[at[i:j]]
+            ok = reached != -9
+            a, n, w = at[i:j][ok], width[i:j][ok], who[i:j][ok]
+            ok = self._fits(reached[ok], w)
+            a, n, w = a[ok], n[ok], w[ok]
+            to = a + n
+            many[to] |= last[to] != -9
+            last[to], back[to] = w, n
+        got: list[bytes | None] = [b""] * len(raw)
+        for k in np.unique(np.concatenate([owner[np.flatnonzero(many)], np.flatnonzero(last[start + size] == -9)])):
+            got[k] = None  # more than one path came together: merge it directly
+        live = np.array([k for k, x in enumerate(got) if x is not None], np.int64)
+        pos, found = (start + size)[live], []
+        while len(live):
+            found.append((live, pos - back[pos], last[pos]))
+            pos = pos - back[pos]
+            on = pos > start[live]
+            live, pos = live[on], pos[on]
+        if found:
+            k, p, w = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(p)
+            k, p, w = k[by], p[by], w[by]
+            if (w == self.none).any():  # bytes for characters without a piece
+                n = np.where(w == self.none, is_char[p] if self.byte else 1, 1)
+                k, p = np.repeat(k, n), np.repeat(p, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                w = np.repeat(w, n)
+                table = np.array([self.byte.get(b, self.unknown) for b in range(256)])
+                w = np.where(w == self.none, table[text[p]], w)
+            ids, ends = w.astype("<i4").tobytes(), (4 * np.searchsorted(k, np.arange(len(raw)), "right")).tolist()
+            begin = 0
+            for j, end in enumerate(ends):
+                if got[j] is not None:
+                    got[j] = ids[begin:end]
+                begin = end
+        return {c: np.array(self.merge(c), "<i4").tobytes() if g is None else g for c, g in zip(chunks, got, strict=True)}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         """U+2581 in front and for spaces, cut before every run of it. Empty texts have no chunks."""
-        if not text:
-            return []
-        parts = (MARK + text.replace(" ", MARK)).split(MARK)[1:]
-        out, run = [], MARK
-        for p in parts[:-1]:
-            if p:
-                out.append(run + p)
-                run = MARK
-            else:
-                run += MARK
-        return [*out, run + parts[-1]]
+        return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [self.chunks(t) if t is not None else None for t in texts]
-        new = {c: None for x in cut if x for c in x if c not in self.known}
+        new = dict.fromkeys(chain.from_iterable(x for x in cut if x))
+        new = [c for c in new if c not in self.known]
         todo, size = [], 0
         if len(self.known) + len(new) > KNOWN:
             self.known = {c: self.known[c] for x in cut if x for c in x if c in self.known}
@@ -177,14 +214,11 @@ class Pieces:
             if c is not None:
                 todo.append(c)
                 size += len(c) + 1
-        known = self.known
-        return [[i for c in x for i in known[c]] if x is not None else None for x in cut]
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)), "<i4") if x is not None else None for x in cut]
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.unbyte[i]]) if i in self.unbyte else self.piece[i].encode()
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -211,7 +245,7 @@ def encode_column(spark: SparkSession, text: Column, path: str = MODEL) -> Colum
     @F.pandas_udf("array<int>")
     def encode(s: pd.Series) -> pd.Series:
         got = pieces(proto.value).encode([t if isinstance(t, str) else None for t in s])
-        return pd.Series([np.array(x, np.int32) if x is not None else None for x in got], dtype=object)
+        return pd.Series(got, dtype=object)
 
     return encode(text)
 
@@ -242,7 +276,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             if ids is None:
                 rows.append((None, None, None))
             else:
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), m.decode(ids) == t.replace(MARK, " ")))
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), m.decode(ids.tolist()) == t.replace(MARK, " ")))
         out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "same"])
         return out.astype({"n_tokens": "Int64", "same": "boolean"})
 
