@@ -8,8 +8,9 @@ In a block, segments come by document id, the words of earlier ones are indexed,
 is factored greedily against them: the longest match that starts at an indexed window becomes a
 factor; at its end the windows across the factor boundary are looked up one by one before parsing
 goes on behind them. Factors of 13 words or more from smaller ids are duplicate spans. A block with
-very many segments (a passage in a third of all documents) is split into blocks of one window each,
-in which every factor is that window and only the smallest id matters, which combines map-side.
+very many segments (a passage in a third of all documents) is split: segments with equal words are
+one, whose repetitions in larger documents are factors as a whole, and the different ones are cut into
+blocks of one window each, in which only the smallest id matters; both combine map-side.
 
 Defined results: null and empty texts have no words and lose none; texts under 13 words lose none;
 rows with one doc_id are one document and take nothing from each other; rows without doc_id lose
@@ -30,7 +31,7 @@ from .common import small_batches, staged, table
 WINDOW = 13
 RUN = 4
 HOT = 2000  # segments of one anchor from which its block is split
-BROADCAST_ROWS = 200_000  # documents with spans up to which they are sent to every executor
+BROADCAST_ROWS = 100_000  # documents with spans up to which they are sent to every executor
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -104,7 +105,7 @@ def _anchors(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The marked segments with their words; those of hot anchors window by window."""
+    """The marked segments with their words, and whether their anchor is hot."""
     for b in it:
         text, first, size, anchor = segments(_raw(b["text"]))
         marked = [set(x) for x in b["cold"]]
@@ -116,10 +117,7 @@ def _cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if f in marked[t] or f in hot[t]:
                 if t not in w:
                     w[t] = words(texts[t])
-                if f in marked[t]:
-                    rows.append((ids[t], rids[t], a, f, " ".join(w[t][f : f + n + WINDOW - 1]), False))
-                else:
-                    rows += [(ids[t], rids[t], a, g, " ".join(w[t][g : g + WINDOW]), True) for g in range(f, f + n)]
+                rows.append((ids[t], rids[t], a, f, " ".join(w[t][f : f + n + WINDOW - 1]), f in hot[t]))
         yield pd.DataFrame(rows, columns=["doc_id", "rid", "anchor", "first", "words", "hot"]).astype({"doc_id": "int64", "rid": "int64", "anchor": "int64", "first": "int32", "words": object, "hot": bool})
 
 
@@ -158,7 +156,7 @@ def _parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, rid, spans): word spans covered by windows of smaller documents. rid tells rows
+    """docs(doc_id, text) -> (doc_id, rid, begin, end): the word spans, as two arrays, covered by windows of smaller documents. rid tells rows
     with one id and different texts apart."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -173,10 +171,41 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     cut = staged(cut, "segments")
     cold = cut.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "first").select("doc_id", "rid", "anchor", "first", "words")
     spans = cold.mapInPandas(_parse, "doc_id long, rid long, begin int, end int")
-    single = cut.where("hot").select("doc_id", "rid", "first", F.sha2("words", 256).alias("w"))
-    least = single.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w", "least")
-    spread = single.join(least, "w").where("doc_id > least").select("doc_id", "rid", F.col("first").alias("begin"), (F.col("first") + WINDOW).alias("end"))
-    return spans.unionByName(spread).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    every = spans.unionByName(_hot_spans(cut.where("hot"))).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    return every.mapInPandas(_merge, "doc_id long, rid long, begin array<int>, end array<int>")
+
+
+def _hot_spans(hot: DataFrame) -> DataFrame:
+    """(doc_id, rid, begin, end) for segments of hot anchors."""
+    hot = hot.select("doc_id", "rid", "first", "words", F.sha2("words", 256).alias("c"))
+    one = hot.groupBy("c").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"))
+    w = F.split("words", " ")
+    cuts = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(i.alias("i"), F.sha2(F.array_join(F.slice(w, i + 1, WINDOW), " "), 256).alias("h")))
+    windows = one.select("c", "least", F.explode(cuts).alias("x")).select("c", "least", "x.i", "x.h")
+    low = windows.groupBy("h").agg(F.min("least").alias("low"), F.max("least").alias("most")).where("low < most").select("h", "low")
+    hits = windows.join(low, "h").where("least > low").groupBy("c").agg(F.collect_set("i").alias("at"))
+    known = one.select("c", "least").join(hits, "c", "left")
+    whole = F.array(F.struct(F.col("first").alias("begin"), (F.col("first") + F.size(w)).alias("end")))
+    some = F.transform("at", lambda i: F.struct((F.col("first") + i).alias("begin"), (F.col("first") + i + WINDOW).alias("end")))
+    got = hot.join(known, "c").where("doc_id > least or at is not null").select("doc_id", "rid", F.explode(F.when(F.col("doc_id") > F.col("least"), whole).otherwise(some)).alias("s"))
+    return got.select("doc_id", "rid", "s.begin", "s.end")
+
+
+def _merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The spans of a document, joined where they meet."""
+    for b in it:
+        begins, ends = [], []
+        for spans in b["spans"]:
+            x, y = [], []
+            for a, z in sorted((s["begin"], s["end"]) for s in spans):
+                if y and a <= y[-1]:
+                    y[-1] = max(y[-1], z)
+                else:
+                    x.append(a)
+                    y.append(z)
+            begins.append(x)
+            ends.append(y)
+        yield pd.DataFrame({"doc_id": b["doc_id"], "rid": b["rid"], "begin": begins, "end": ends})
 
 
 def remove_duplicates(docs: DataFrame) -> DataFrame:
@@ -187,14 +216,14 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
         spans = F.broadcast(spans)
 
     @F.pandas_udf("n_words long, n_removed long, text string")
-    def keep(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def keep(text: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, s in zip(text, spans, strict=True):
+        for t, a, b in zip(text, begin, end, strict=True):
             w = words(t) if isinstance(t, str) else []
             gone = np.zeros(len(w) + 1, np.int64)
-            for x in s if s is not None else ():
-                gone[x["begin"]] += 1
-                gone[x["end"]] -= 1
+            if a is not None:
+                gone[a] += 1  # spans don't meet, so no index comes twice
+                gone[b] -= 1
             gone = np.cumsum(gone[:-1]) > 0
             rows.append((len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "text"])
@@ -202,7 +231,7 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
     rid = F.xxhash64(docs["doc_id"], docs["text"])
     got = docs.join(spans, (docs["doc_id"].cast("long") == F.col("_d")) & (rid == F.col("_r")), "left")
     small_batches(spark)
-    return got.withColumn("_kept", keep(docs["text"], F.col("spans"))).drop("spans", "_d", "_r")
+    return got.withColumn("_kept", keep(docs["text"], F.col("begin"), F.col("end"))).drop("begin", "end", "_d", "_r")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
