@@ -120,9 +120,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     clean = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     key = F.transform(F.slice("turns", 1, LONG), lambda t: F.xxhash64(t["role"], t["text"]))
-    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     convs = convs.select("conv_id", key.alias("key"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    convs = convs.repartitionByRange(n, "key", "conv_id").sortWithinPartitions("key", "conv_id").select("conv_id", "turns")
+    convs = convs.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").select("conv_id", "turns")
     return convs.mapInPandas(_packs, PACK)
 
 
