@@ -14,8 +14,9 @@ from .bytecnn import ByteCNN
 from .common import crc_mod, small_batches, table
 from .training import train
 
-MAX_TEXTS = 3000  # labelled texts the network is fitted on, at most twice this many if ids repeat
-EPOCHS = 5
+MAX_TEXTS = 4000  # labelled texts the network is fitted on, at most twice this many if ids repeat
+EPOCHS = 8
+FILTERS = 16  # of each width
 THRESHOLD = 0.3
 
 
@@ -23,7 +24,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, epochs:
     """Learns from labels.quality of rows whose crc32(doc_id) mod 5 is not 0."""
     marked = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
     rows = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(marked, "doc_id")
-    return train(rows, "quality", max_texts, epochs, seed=11)
+    return train(rows, "quality", max_texts, epochs, seed=11, filters=FILTERS)
 
 
 def score(spark: SparkSession, model: ByteCNN | None, text: Column) -> Column:

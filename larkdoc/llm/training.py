@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .bytecnn import ByteCNN
 
 
-def train(rows: DataFrame, label: str, max_texts: int, epochs: int, windows: int = 4, seed: int = 7) -> ByteCNN | None:
+def train(rows: DataFrame, label: str, max_texts: int, epochs: int, windows: int = 4, seed: int = 7, filters: int = 8) -> ByteCNN | None:
     """Fit a ByteCNN on rows(text, label, doc_id) without null labels.
 
     max_texts bounds the sample: each label gets an equal share, chosen by a hash of the id,
@@ -27,7 +27,7 @@ def train(rows: DataFrame, label: str, max_texts: int, epochs: int, windows: int
     cuts = F.array(*[F.substring("text", (n * j / windows).cast("int") + 1, F.lit(size)) for j in range(windows)])
     got = rows.where(keep).select(F.col(label).alias("y"), F.array_distinct(cuts).alias("x"), F.xxhash64("doc_id", "text").alias("o")).limit(2 * max_texts).collect()
     got.sort(key=lambda r: (r.o, r.x))
-    model = ByteCNN(classes, seed=seed)
+    model = ByteCNN(classes, filters=filters, seed=seed)
     data = [(t.encode("utf-8", "surrogatepass")[:size], classes.index(r.y)) for r in got for t in r.x if t]
     if len(classes) > 1:
         x, _, _ = model.cut([t for t, _ in data])
