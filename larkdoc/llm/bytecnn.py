@@ -108,7 +108,7 @@ class ByteCNN:
         group: list[int] = []
         held = 0
         for i, t in enumerate([*texts, None]):  # groups of texts with bounded windows
-            if group and (t is None or held + len(t) > 4_000_000):
+            if group and (t is None or held + len(t) > 1_000_000):
                 x, owner, size = self.cut([texts[j] for j in group])
                 s = self.logits(x).astype(np.float64)
                 s -= np.log(np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)) + s.max(1, keepdims=True)

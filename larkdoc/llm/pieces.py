@@ -28,7 +28,8 @@ from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-KNOWN = 600_000  # chunks whose ids a worker keeps
+KNOWN = 300_000  # chunks whose ids a worker keeps
+INDEX = 250_000  # characters of an index; its edges take some hundred times as many bytes
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -208,7 +209,7 @@ class Pieces:
         if len(self.known) + len(new) > KNOWN:
             self.known = {c: self.known[c] for x in cut if x for c in x if c in self.known}
         for c in [*new, None]:  # indexes of bounded size
-            if c is None or size > 1_000_000:
+            if c is None or size > INDEX:
                 self.known.update(self.learn(todo))
                 todo, size = [], 0
             if c is not None:
