@@ -73,6 +73,22 @@ def test_line_dedup(spark, rows, docs):
     assert lines.drop_repeated_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_one_character(spark):
+    """Ordinary lines of 12 words that differ in one character reach 0.8 and are one line."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(40):
+        line = prose(rnd, 12)
+        at = len(line) // 2
+        other = line[:at] + ("#" if line[at] != "#" else "$") + line[at + 1 :]
+        rows += [(2 * i, line), (2 * i + 1, other)]
+    rows += [(100, "abc"), (101, "abd"), (102, "héé\U0001f600x"), (103, "héé\U0001f600y"), (104, "x" * 400 + "end"), (105, "x" * 500 + "end")]
+    want = lines.brute_force(rows)
+    assert sum(n for _, n, _ in want.values()) >= 40
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r._lines.n_lines, r._lines.n_removed or 0, r._lines.text) for r in got.collect()} == want
+
+
 def test_license_scan(spark, rows, docs):
     rnd = random.Random(2)
     cut = [" ".join(t.split()[rnd.randint(0, 2) :]) for t in licenses.TEMPLATES.values()]
