@@ -73,6 +73,20 @@ def test_line_dedup(spark, rows, docs):
     assert lines.drop_repeated_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_hot_template(spark, monkeypatch):
+    """One template, many clusters of near copies: no two clusters reach 0.8, and the buckets hold far more lines than centres."""
+    monkeypatch.setattr(lines, "CHUNK", 50, raising=False)  # several chunks a bucket
+    rnd = random.Random(5)
+    core, rows = prose(rnd, 22), []
+    for i in range(120):
+        fill = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))
+        rows += [(3 * i + k, f"{core} {fill}{x}") for k, x in enumerate(("", " 1", " 2"))]
+    want = lines.brute_force(rows)
+    assert sum(n for _, n, _ in want.values()) == 240
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r._lines.n_lines, r._lines.n_removed or 0, r._lines.text) for r in got.collect()} == want
+
+
 def test_line_dedup_one_character(spark):
     """Ordinary lines of 12 words that differ in one character reach 0.8 and are one line."""
     rnd = random.Random(3)
