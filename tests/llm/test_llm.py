@@ -87,6 +87,17 @@ def test_line_dedup_hot_template(spark, monkeypatch):
     assert {r.doc_id: (r._lines.n_lines, r._lines.n_removed or 0, r._lines.text) for r in got.collect()} == want
 
 
+def test_line_dedup_short_lines(spark):
+    """Bands of short lines are independent enough: four shingles of five are found as often as in long lines."""
+    rnd = random.Random(11)
+    short = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, f"{x}\n{x[:8]}") for i, x in enumerate(short)], "doc_id long, text string")
+    found = {}
+    for r in lines.signatures(lines.document_lines(docs)).select(*lines.unpacked_place(F.col("place")), "bands").collect():
+        found.setdefault(r[0], []).append(set(r[3]))
+    assert sum(len(b) == 2 and not b[0].isdisjoint(b[1]) for b in found.values()) >= 980
+
+
 def test_line_dedup_one_character(spark):
     """Ordinary lines of 12 words that differ in one character reach 0.8 and are one line."""
     rnd = random.Random(3)
