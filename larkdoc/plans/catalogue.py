@@ -13,6 +13,7 @@ from larkdoc.operators.collection import Collection
 from larkdoc.plans.filters import query
 from larkdoc.plans.policy import Policy, workspace
 from larkdoc.sources.tables import collection
+from larkdoc.streaming import deltas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,3 +162,18 @@ add("policy_constrained_find", "SELECT * FROM customer WHERE c_nationkey = 7 AND
     lambda s, d: workspace("c_nationkey", 7, max_results=50).find(collection(s, d, "customer"), query({"c_acctbal": {"$gt": 100}}, [("c_acctbal", -1)], limit=500)))
 add("policy_projected", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY'",
     lambda s, d: Policy(rows=query({"c_mktsegment": "MACHINERY"}).where, result_paths=("c_name",)).find(collection(s, d, "customer"), query(), ("c_custkey",)))
+
+
+def _view_delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-20 view over events that arrive in four chunks of event_id: deltas between its snapshots, applied to the empty one."""
+    events = collection(spark, sf_dir, "events")
+    low, high = events.df.agg(F.min("event_id"), F.max("event_id")).first()
+    old = held = (0, [])
+    for k in range(1, 5 if low is not None else 1):
+        seen = {"event_type": "purchase", "event_id": {"$lte": low + (high - low) * k // 4}}
+        new = (k, [(r.event_id, r) for r in events.find(seen, sort=[("value", -1)], limit=20).collect()])
+        held, old = deltas.apply(held, deltas.build(old, new)), new
+    return spark.createDataFrame([r for _, r in held[1]], events.df.schema)
+
+
+add("view_delta_apply", "SELECT * FROM events WHERE event_type = 'purchase' ORDER BY value DESC, event_id LIMIT 20", _view_delta_apply)
