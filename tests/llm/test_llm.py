@@ -87,13 +87,40 @@ def test_line_dedup_hot_template(spark, monkeypatch):
     assert {r.doc_id: (r._lines.n_lines, r._lines.n_removed or 0, r._lines.text) for r in got.collect()} == want
 
 
+def test_line_dedup_crowd(spark):
+    """One 40-word line, 600 times with two words changed: one crowd in which most pairs are near 0.8."""
+    rnd = random.Random(600)
+    base, rows = [rnd.choice(WORDS) + str(rnd.randint(0, 999)) for _ in range(40)], []
+    for i in range(600):
+        w = list(base)
+        for k in rnd.sample(range(40), 2):
+            w[k] = rnd.choice(WORDS) + str(rnd.randint(0, 999))
+        rows.append((i, " ".join(w)))
+    want = lines.brute_force(rows)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    removed, all_removed = ({r[0] for r in x if r[1]} for x in ([(r.doc_id, r._lines.n_removed) for r in got.collect()], [(d, n) for d, (_, n, _) in want.items()]))
+    assert removed == all_removed
+
+
+def test_line_dedup_clashing_names(spark):
+    """Extra columns keep their values whatever they are called, also those the operator uses itself."""
+    names = ["row", "stay", "id", "doc", "rid", "split", "left", "_lines", "_doc", "_rid", "k1", "a"]
+    docs = spark.createDataFrame([(1, "one\none", *range(len(names))), (2, "one", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = {r.doc_id: r for r in lines.drop_repeated_lines(docs).collect()}
+    assert {d: r.text for d, r in got.items()} == {1: "one", 2: ""}
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in got.values())
+    ints = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id int, text string")
+    assert lines.drop_repeated_lines(ints).schema == ints.schema
+
+
 def test_line_dedup_short_lines(spark):
     """Bands of short lines are independent enough: four shingles of five are found as often as in long lines."""
     rnd = random.Random(11)
     short = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(1000)]
     docs = spark.createDataFrame([(i, f"{x}\n{x[:8]}") for i, x in enumerate(short)], "doc_id long, text string")
     found = {}
-    for r in lines.signatures(lines.document_lines(docs)).select(*lines.unpacked_place(F.col("place")), "bands").collect():
+    bands = F.array(*[f"b{b}" for b in range(lines.BANDS)])
+    for r in lines.signatures(docs).select(*lines.unpacked_place(F.col("place")), bands).collect():
         found.setdefault(r[0], []).append(set(r[3]))
     assert sum(len(b) == 2 and not b[0].isdisjoint(b[1]) for b in found.values()) >= 980
 
