@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import json
+import re
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import cmp_to_key
@@ -110,26 +111,47 @@ def from_wire(w: dict) -> Any:
     if not isinstance(v, want) or k == "float64" and isinstance(v, bool):
         raise ValueProblem(f"a {k} can't be {v!r}")
     if k == "int64":
-        n = int(v)
+        n = int(v) if v.lstrip("-").isascii() and v.lstrip("-").isdigit() else 0
         if str(n) != v or not I64[0] <= n <= I64[1]:
             raise ValueProblem("not a canonical 64-bit integer")
         return n
     if k == "date":
-        return dt.datetime.strptime(v, "%Y-%m-%dT%H:%M:%S.%fZ")
+        try:
+            t = dt.datetime.strptime(v, "%Y-%m-%dT%H:%M:%S.%fZ")
+        except ValueError as e:
+            raise ValueProblem(f"no date {v!r}") from e
+        if to_wire(t)["v"] != v:
+            raise ValueProblem("a date has milliseconds")
+        return t
     if k == "array":
         return [from_wire(e) for e in v]
     if k == "object":
+        if any(not isinstance(x, list) or len(x) != 2 or not isinstance(x[0], str) for x in v):
+            raise ValueProblem("an object is a list of pairs")
         out = {n: from_wire(x) for n, x in v}
         for n in out:
             check_field(n)
         if len(out) != len(v):
             raise ValueProblem("a field appears twice")
         return out
-    return {"float64": float, "id": Id, "binary": base64.b64decode}.get(k, lambda x: x)(v)
-
-
-def strict_json(text: str) -> Any:
-    """JSON without repeated names, trailing data or special numbers."""
+    if k == "binary":
+        try:
+            raw = base64.b64decode(v, validate=True)
+        except ValueError as e:
+            raise ValueProblem("not base64") from e
+        return raw
+    if k == "float64":
+        kind(float(v))  # finite
+    return {"float64": float, "id": Id}.get(k, lambda x: x)(v)
+
+
+def strict_json(text: str, depth: int = 128) -> Any:
+    """JSON without repeated names, trailing data or special numbers, nested so deep at most."""
+    level = 0
+    for x in re.finditer(r'"(?:[^"\\]|\\.)*"|[\[{]|[\]}]', text):
+        level += {"[": 1, "{": 1, "]": -1, "}": -1}.get(x[0], 0)
+        if level > depth:
+            raise ValueProblem(f"JSON nests {depth} deep at most")
 
     def once(pairs: list) -> dict:
         if len({k for k, _ in pairs}) != len(pairs):

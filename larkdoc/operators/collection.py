@@ -18,6 +18,18 @@ class LimitReached(RuntimeError):
     """More groups or rows than an operation allows."""
 
 
+MAX_SKIP = 100_000
+
+
+def without_first(df: DataFrame, order: list, skip: int, position: list[str]) -> DataFrame:
+    """All rows but the first ones: those are a bounded top-k, and the rest needn't be sorted to drop them."""
+    if skip > MAX_SKIP:
+        raise LimitReached(f"skip is {MAX_SKIP} at most")
+    first = df.orderBy(*order).limit(skip).select(*[F.col(f"`{p}`").alias(f"_skip{i}") for i, p in enumerate(position)])
+    same = [F.col(f"`{p}`").eqNullSafe(F.col(f"_skip{i}")) for i, p in enumerate(position)]
+    return df.join(F.broadcast(first), same, "left_anti")
+
+
 @dataclass(frozen=True)
 class Collection:
     df: DataFrame
@@ -28,13 +40,14 @@ class Collection:
 
     def run(self, q: Query, project: list[str] | None = None) -> DataFrame:
         """Filter, order, window and projection. Sorting only happens where a window or the caller's sort needs it."""
-        got = self.where(q)
-        if q.sort or q.skip or q.limit is not None:
-            got = got.orderBy(*ordering(self.df.schema, q.sort, list(self.position)))
-        if q.skip:
-            got = got.offset(q.skip)
-        if q.limit is not None:
-            got = got.limit(q.limit)
+        got, order = self.where(q), ordering(self.df.schema, q.sort, list(self.position))
+        if q.skip and q.limit is None:
+            got = without_first(got, order, q.skip, list(self.position))
+            got = got.orderBy(*order) if q.sort else got
+        elif q.sort or q.limit is not None:
+            got = got.orderBy(*order)
+            got = got.offset(q.skip) if q.skip else got
+            got = got.limit(q.limit) if q.limit is not None else got
         return got.select(*projection(self.df.schema, project)) if project else got
 
     def find(self, f: dict | None = None, sort=(), skip: int = 0, limit: int | None = None, project: list[str] | None = None) -> DataFrame:

@@ -38,33 +38,39 @@ def compile_update(ops: dict, key: str = "_id") -> list[tuple[str, str, object]]
     return out
 
 
-def _changed(op: str, ref: Ref, v) -> Column:
+def _changed(op: str, ref: Ref, v) -> tuple[Column, Column | None]:
+    """The value after an operation, and whether the row doesn't allow it. A NULL cell is the value null."""
     if op == "$unset":
-        return F.lit(None).cast(ref.type)
+        return F.lit(None).cast(ref.type), None
     if op == "$set":
         if v is not None and kind_of(ref.type) != kind(v) and {kind_of(ref.type), kind(v)} != {"int64", "float64"}:
             raise MutationProblem(f"a column of {ref.type.simpleString()} can't hold {kind(v)}")
+        if kind_of(ref.type) == "int64" and kind(v) == "float64" and v != int(v):
+            raise MutationProblem("an integer column can't hold the value")
         new = F.lit(None).cast(ref.type) if v is None else F.array(*map(F.lit, v)).cast(ref.type) if isinstance(v, list) else literal(v, ref.type)
         # a value that equals the old one is no change, of whatever kind of number
-        return new
+        return new, None
     if op == "$inc":
         if kind_of(ref.type) not in ("int64", "float64"):
             raise MutationProblem("$inc needs a number")
         if kind_of(ref.type) == "int64" and kind(v) == "float64":
             raise MutationProblem("an integer column can't hold the sum")
-        total = F.try_add(F.coalesce(ref.col, F.lit(0).cast(ref.type)), F.lit(v).cast(ref.type))
-        bad = total.isNull() if kind_of(ref.type) == "int64" else F.isnan(total) | (F.abs(total) == float("inf"))
-        return F.when(bad, F.raise_error(F.lit("$inc leaves the number's range"))).otherwise(total)
+        total = F.try_add(ref.col, F.lit(v).cast(ref.type))
+        bad = total.isNull() if kind_of(ref.type) == "int64" else total.isNull() | F.isnan(total) | (F.abs(total) == float("inf"))
+        return total, bad
     if not isinstance(ref.type, T.ArrayType):
         raise MutationProblem(f"{op} needs an array")
     element = ref.type.elementType
     if op == "$push":
-        return F.concat(F.coalesce(ref.col, F.array().cast(ref.type)), F.array(literal(v, element)))
-    return F.filter(ref.col, lambda e: ~equals(Ref(e, element), v, False))
+        return F.concat(ref.col, F.array(literal(v, element))), ref.col.isNull()
+    return F.filter(ref.col, lambda e: ~equals(Ref(e, element), v, False)), ref.col.isNull()
 
 
-def updated(df: DataFrame, f: dict, ops: dict, position: list[str], one: bool = False) -> DataFrame:
-    """The after image of every row, with _matched and _modified. One: only the first match in insertion order."""
+def updated(df: DataFrame, f: dict, ops: dict, position: list[str], one: bool = False, most: int | None = None) -> DataFrame:
+    """The after image of every row, with _matched and _modified. One: only the first match in insertion order.
+
+    Fails as a whole, when it runs and whatever columns are read, if a row doesn't allow the update (a null
+    target of $inc, $push or $pull, a null parent, a sum out of range) or more rows than `most` match."""
     plan = compile_update(ops, position[0])
     hit = predicate(compile_filter(f), df.schema)
     if one:
@@ -76,14 +82,16 @@ def updated(df: DataFrame, f: dict, ops: dict, position: list[str], one: bool =
     by_column: dict[str, list] = {}
     for op, path, v in plan:
         by_column.setdefault(path.split(".")[0], []).append((op, path, v))
-    cols, changes = [], []
+    if missing := [p for _, p, _ in plan if resolve(df.schema, p) is None]:
+        raise MutationProblem(f"no column for {', '.join(missing)}: a typed collection has the fields of its schema")
+    cols, changes, bad = [], [], []
     for name in df.columns:
         new = F.col(f"`{name}`")
         for op, path, v in by_column.get(name, []):
             ref = resolve(df.schema, path)
-            if ref is None:
-                raise MutationProblem(f"no column for {path}")
-            got = _changed(op, ref, v)
+            got, wrong = _changed(op, ref, v)
+            # a path through a null parent crosses a value that is no object; there is nothing there to unset
+            bad += [c for c in (wrong, ~ref.found if ref.found is not None and op != "$unset" else None) if c is not None]
             new = got if path == name else new.withField(path.split(".", 1)[1], got)
         cols.append(F.when(F.col("_matched"), new).otherwise(F.col(f"`{name}`")).alias(name) if name in by_column else F.col(f"`{name}`"))
         if name in by_column:
@@ -91,7 +99,19 @@ def updated(df: DataFrame, f: dict, ops: dict, position: list[str], one: bool =
     changed = F.lit(False)
     for c in changes:
         changed = changed | c
-    return df1.withColumn("_matched", hit).select(*cols, "_matched", (F.col("_matched") & changed).alias("_modified"))
+    out = df1.withColumn("_matched", hit).select(*cols, "_matched", (F.col("_matched") & changed).alias("_modified"))
+    if bad:
+        wrong = bad[0]
+        for c in bad[1:]:
+            wrong = wrong | c
+        out = _guarded(out, df1.where(hit & F.coalesce(wrong, F.lit(True))).limit(1), 0, "a row doesn't allow the update: a number out of range, or a value of another kind")
+    return out if most is None else _guarded(out, df1.where(hit).limit(most + 1), most, f"the update matches over {most} rows")
+
+
+def _guarded(df: DataFrame, rows: DataFrame, most: int, what: str) -> DataFrame:
+    """df, or an error when it runs if rows are more than `most`. The filter stays however columns are pruned."""
+    n = rows.select(F.lit(1).alias("one")).agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > most, F.raise_error(F.lit(what))).alias("_over"))
+    return df.join(F.broadcast(n), F.lit(True), "left").where(F.col("_over").isNull()).drop("_over")
 
 
 def update_many(df: DataFrame, f: dict, ops: dict, position: list[str]) -> DataFrame:
@@ -110,8 +130,10 @@ def changes(df: DataFrame, f: dict, ops: dict, position: list[str]) -> DataFrame
     return after.select(*position, F.col("_before").alias("before"), F.struct(*names).alias("after"))
 
 
-def delete_many(df: DataFrame, f: dict) -> DataFrame:
-    return df.where(~predicate(compile_filter(f), df.schema))
+def delete_many(df: DataFrame, f: dict, most: int | None = None) -> DataFrame:
+    hit = predicate(compile_filter(f), df.schema)
+    rest = df.where(~hit)
+    return rest if most is None else _guarded(rest, df.where(hit).limit(most + 1), most, f"the deletion matches over {most} rows")
 
 
 def delete_one(df: DataFrame, f: dict, position: list[str]) -> DataFrame:
@@ -120,11 +142,18 @@ def delete_one(df: DataFrame, f: dict, position: list[str]) -> DataFrame:
 
 
 def insert_many(df: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """df and new together; a key that is there already, or twice in new, fails the query when it runs."""
-    both = df.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    clash = both.groupBy(*key).agg(F.count("*").alias("n"), F.max("_new").alias("new")).where("n > 1 and new")
-    some = clash.limit(1).agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.raise_error(F.lit("a key is there already"))).alias("_clash"))
-    return both.drop("_new").join(F.broadcast(some), F.lit(True), "left").where(F.col("_clash").isNull()).drop("_clash")
+    """df and new together; a key that is there already, or twice in new, fails the query when it runs.
+
+    Only the new rows are grouped; the old ones are met by a semi-join with the new keys, which Spark
+    broadcasts where they are small."""
+    twice = new.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
+    there = df.select(*key).join(new.select(*key), key, "left_semi")
+    return _guarded(df.unionByName(new), twice.unionByName(there).limit(1), 0, "a key is there already")
+
+
+def upsert(df: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of new in place of those with their key, and those that are new."""
+    return df.join(new.select(*key), key, "left_anti").select(*df.columns).unionByName(new)
 
 
 def unique_violations(df: DataFrame, fields: list[str]) -> DataFrame:

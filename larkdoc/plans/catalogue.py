@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkdoc.operators import documents as D
 from larkdoc.operators import mutations as M
 from larkdoc.operators.collection import Collection
 from larkdoc.plans.filters import query
@@ -52,10 +53,10 @@ WHERE = {  # name: (table, filter, SQL condition)
     "filter_nin": ("orders", {"o_orderstatus": {"$nin": ["F", "O"]}}, "o_orderstatus NOT IN ('F', 'O')"),
     "filter_in_empty": ("nation", {"n_name": {"$in": []}}, "FALSE"),
     "filter_nin_empty": ("nation", {"n_name": {"$nin": []}}, "TRUE"),
-    "filter_exists_true": ("customer", {"c_name": {"$exists": True}}, "TRUE"),
-    "filter_exists_false": ("customer", {"c_name.first": {"$exists": False}}, "TRUE"),
+    "filter_exists_column": ("customer", {"c_name": {"$exists": True}}, "TRUE"),
+    "filter_exists_no_column": ("customer", {"c_name.first": {"$exists": False}}, "TRUE"),
     "filter_size": ("embeddings", {"embedding": {"$size": 64}}, "len(embedding) = 64"),
-    "filter_type": ("supplier", {"s_acctbal": {"$type": ["float64", "null"]}, "s_name": {"$type": "string"}}, "TRUE"),
+    "filter_type_column": ("supplier", {"s_acctbal": {"$type": ["float64", "null"]}, "s_name": {"$type": "string"}}, "TRUE"),
     "filter_elem_match_scalar": ("embeddings", {"embedding": {"$elemMatch": {"$gte": 0.2, "$lt": 0.21}}}, "len(list_filter(embedding, lambda x: x::DOUBLE >= 0.2::DOUBLE AND x::DOUBLE < 0.21::DOUBLE)) > 0"),
     "filter_and": ("orders", {"$and": [{"o_orderstatus": "O"}, {"o_totalprice": {"$gt": 100000}}]}, "o_orderstatus = 'O' AND o_totalprice > 100000"),
     "filter_or": ("orders", {"$or": [{"o_orderstatus": "P"}, {"o_totalprice": {"$lt": 5000}}]}, "o_orderstatus = 'P' OR o_totalprice < 5000"),
@@ -172,8 +173,83 @@ def _view_delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(1, 5 if low is not None else 1):
         seen = {"event_type": "purchase", "event_id": {"$lte": low + (high - low) * k // 4}}
         new = (k, [(r.event_id, r) for r in events.find(seen, sort=[("value", -1)], limit=20).collect()])
-        held, old = deltas.apply(held, deltas.build(old, new)), new
+        delta = deltas.build(old, new)
+        held, old = deltas.apply(held, delta) if delta.operations else (k, held[1]), new
     return spark.createDataFrame([r for _, r in held[1]], events.df.schema)
 
 
 add("view_delta_apply", "SELECT * FROM events WHERE event_type = 'purchase' ORDER BY value DESC, event_id LIMIT 20", _view_delta_apply)
+
+
+def _mixed(s: SparkSession, d: str) -> D.Documents:
+    """Events as documents without a schema: v is missing or of one of nine kinds, t sometimes has k, o is an object or not."""
+    e, n = collection(s, d, "events").df, F.col("event_id") % 11
+    v = (
+        F.when(n == 0, F.lit('"v":null,')).when(n == 1, F.concat(F.lit('"v":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit(","))).when(n == 2, F.concat(F.lit('"v":'), (F.col("event_id") % 7).cast("string"), F.lit(",")))
+        .when(n == 3, F.concat(F.lit('"v":'), (F.col("event_id") % 5).cast("string"), F.lit(".5e0,"))).when(n == 4, F.concat(F.lit('"v":"'), F.col("event_type"), F.lit('",')))
+        .when(n == 5, F.concat(F.lit('"v":{"$date":'), (F.col("event_id") * 1000).cast("string"), F.lit("},"))).when(n == 6, F.concat(F.lit('"v":{"$id":"'), F.lpad(F.hex("event_id"), 32, "0"), F.lit('"},')))
+        .when(n == 7, F.concat(F.lit('"v":['), (F.col("event_id") % 3).cast("string"), F.lit(',"x",null],'))).when(n == 8, F.concat(F.lit('"v":{"k":'), (F.col("event_id") % 4).cast("string"), F.lit("},"))).otherwise("")
+    )
+    text = F.concat(F.lit("{"), v, F.lit('"props":'), F.when(F.col("event_id") % 6 == 0, F.lit("{}")).otherwise(F.col("props")), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
+    return D.Documents(D.from_json(e.select("event_id", text.alias("text")), "event_id", "text"))
+
+
+_N = "event_id % 11"
+_HAS = "(event_id % 6 <> 0)"
+_K = "(props->>'k')::BIGINT"
+for _name, _f, _sql in (
+    ("filter_exists_true", {"v": {"$exists": True}}, f"{_N} < 9"), ("filter_exists_false", {"props.k": {"$exists": False}}, f"NOT {_HAS}"), ("filter_missing_or_null", {"$or": [{"v": None}, {"v": {"$exists": False}}]}, f"{_N} IN (0, 9, 10)"),
+    ("filter_type", {"v": {"$type": ["int64", "string", "object"]}}, f"{_N} IN (2, 4, 8)"), ("filter_type_number", {"v": {"$type": "float64"}}, f"{_N} = 3"), ("filter_type_special", {"v": {"$type": ["date", "id", "array"]}}, f"{_N} IN (5, 6, 7)"),
+    ("filter_dotted_path_document", {"props.k": {"$gte": 50}}, f"{_HAS} AND {_K} >= 50"), ("filter_ne_mixed", {"v": {"$ne": 2}}, f"NOT ({_N} = 2 AND event_id % 7 = 2 OR {_N} = 7 AND event_id % 3 = 2)"),
+    ("filter_range_mixed", {"v": {"$gte": 3, "$lt": "purchase"}}, f"({_N} = 2 AND event_id % 7 >= 3) OR ({_N} = 3 AND event_id % 5 + 0.5 >= 3) OR ({_N} = 4 AND event_type < 'purchase')"),
+    ("filter_member_mixed", {"v": {"$in": [1, "click", None]}}, f"{_N} = 0 OR ({_N} = 2 AND event_id % 7 = 1) OR ({_N} = 4 AND event_type = 'click') OR {_N} = 7"),
+    ("filter_size_mixed", {"v": {"$size": 3}}, f"{_N} = 7"), ("filter_object_equal", {"v": {"k": 2.0}}, f"{_N} = 8 AND event_id % 4 = 2"),
+):
+    add(_name, f"SELECT event_id AS id FROM events WHERE {_sql}", lambda s, d, f=_f: _mixed(s, d).find(f).select(F.col("_id").cast("long").alias("id")))
+_ORDER = f"""CASE WHEN {_N} >= 9 THEN -1 ELSE [0, 1, 2, 2, 3, 4, 5, 7, 8][{_N} + 1] END, CASE {_N} WHEN 1 THEN (event_id % 2 = 0)::INT WHEN 2 THEN event_id % 7 WHEN 3 THEN event_id % 5 + 0.5 WHEN 5 THEN event_id ELSE 0 END,
+  CASE {_N} WHEN 4 THEN event_type WHEN 6 THEN lpad(hex(event_id), 32, '0') ELSE '' END, event_id"""
+add("sort_mixed_kinds", f"SELECT event_id AS id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM events) WHERE rank <= 900",
+    lambda s, d: (lambda r: s.createDataFrame([(int(x._id), i + 1) for i, x in enumerate(r.collect())], "id long, rank long"))(_mixed(s, d).find(sort=[("v", 1)], limit=900).select("_id")))
+add("group_count_mixed", f"SELECT CASE {_N} WHEN 2 THEN 'int64' WHEN 3 THEN 'float64' WHEN 1 THEN 'boolean' ELSE 'null' END AS kind, CASE {_N} WHEN 2 THEN (event_id % 7)::VARCHAR WHEN 3 THEN (event_id % 5)::VARCHAR || '.5' WHEN 1 THEN (event_id % 2 = 0)::VARCHAR ELSE 'null' END AS key, count(*) AS count FROM events WHERE {_N} IN (0, 1, 2, 3, 9, 10) GROUP BY 1, 2",
+    lambda s, d: _mixed(s, d).group_count("v", {"$or": [{"v": {"$type": ["null", "boolean", "int64", "float64"]}}, {"v": {"$exists": False}}]}))
+add("update_document", f"SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 1 + CASE WHEN {_HAS} THEN {_K} ELSE 0 END END AS k FROM events WHERE event_type = 'error'",
+    lambda s, d: D.images(_mixed(s, d).find({"type": "error"}), [("$inc", "props.k", 1)]).select(F.col("_id").cast("long").alias("id"), F.get_json_object("after", "$.props.k").cast("long").alias("k")))
+
+
+def _store(spark: SparkSession):
+    from larkdoc.sources.store import Store
+    from larkdoc.sources.tables import scratch
+
+    return Store(spark, scratch(spark, "store"))
+
+
+def _view_snapshot_after_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases arrive in four commits; a live top-20 view follows them through the change feed."""
+    from larkdoc.sources.tables import scratch
+    from larkdoc.streaming import views
+
+    store, events = _store(spark), collection(spark, sf_dir, "events").df.where("event_type = 'purchase'")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    view = views.View(store, "events", query({}, [("value", -1)], 0, 20))
+    for k in range(4 if low is not None else 0):
+        cut = [low + (high - low + 1) * j // 4 for j in (k, k + 1)]
+        rows = events.where((F.col("event_id") >= cut[0]) & (F.col("event_id") < cut[1])).select("event_id", "value", (F.col("event_id") - cut[0]).alias("at"))
+        docs = D.from_rows(rows, "event_id", F.col("at"))
+        store.run(lambda t, docs=docs: t.insert_frame("events", docs))
+    views.feed(store, lambda s, c: view.advance(s, c), scratch(spark, "checkpoint"), "events").awaitTermination()
+    return spark.createDataFrame([(r["event_id"], float(r["value"])) for _, r in view.snapshot[1]], "event_id long, value double")
+
+
+def _archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkdoc.sources import archive
+    from larkdoc.sources.tables import scratch
+
+    one, two, path = _store(spark), _store(spark), scratch(spark, "archive") + "/nation.jsonl"
+    one.run(lambda t: t.insert_frame("nation", D.from_rows(collection(spark, sf_dir, "nation").df, "n_nationkey")))
+    archive.export(one, path)
+    archive.load(two, path)
+    return two.read("nation").select(F.variant_get("doc", "$.n_nationkey", "int").alias("n_nationkey"), F.variant_get("doc", "$.n_name", "string").alias("n_name"), F.variant_get("doc", "$.n_regionkey", "int").alias("n_regionkey"))
+
+
+add("view_snapshot_after_batches", "SELECT event_id, value FROM events WHERE event_type = 'purchase' ORDER BY value DESC, event_id LIMIT 20", _view_snapshot_after_batches)
+add("archive_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation", _archive_roundtrip)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Any
 
-from larkdoc.functions.values import KINDS, Id, ValueProblem, check_path, equal, from_wire, kind
+from larkdoc.functions.values import KINDS, Id, ValueProblem, check_path, equal, kind
 
 MAX_DEPTH, MAX_NODES, MAX_ITEMS, MAX_SORT, MAX_LIMIT = 16, 128, 256, 4, 10_000
 Node = tuple
@@ -132,26 +132,6 @@ def _operand(path: str | None, v: Any) -> Any:
     return v
 
 
-def from_wire_node(w: dict) -> Node:
-    """The tagged JSON form of a filter."""
-    op = w.get("op") or w.get("kind") or w.get("type")
-    if op in ("and", "or"):
-        return (op, [from_wire_node(x) for x in w["args"]])
-    if op == "not":
-        return ("not", from_wire_node(w["arg"]))
-    if op == "true":
-        return ("true",)
-    if op in ("eq", "gt", "gte", "lt", "lte"):
-        return (op, w["path"], from_wire(w["value"]))
-    if op in ("in", "all"):
-        return (op, w["path"], [from_wire(x) for x in w["values"]])
-    if op == "exists":
-        return ("exists", w["path"])
-    if op == "size":
-        return ("size", w["path"], int(w["size"]))
-    raise FilterProblem(f"no node {op!r}")
-
-
 def paths(n: Node) -> set[str]:
     """Field paths a filter reads."""
     if n[0] in ("and", "or"):
@@ -179,6 +159,7 @@ class Query:
     sort: tuple[tuple[str, int], ...] = ()
     skip: int = 0
     limit: int | None = None
+    seek: bool = False  # pages by keyset: needs a sort and a limit
 
     def __post_init__(self) -> None:
         _need(len(self.sort) <= MAX_SORT and len({p for p, _ in self.sort}) == len(self.sort), f"{MAX_SORT} different sort fields at most")
@@ -187,6 +168,7 @@ class Query:
             _need(d in (1, -1), "a sort direction is 1 or -1")
         _need(self.skip >= 0, "skip is 0 or more")
         _need(self.limit is None or 0 <= self.limit <= MAX_LIMIT, f"limit is 0 to {MAX_LIMIT}")
+        _need(not self.seek or bool(self.sort) and self.limit is not None, "seek needs a sort and a limit")
 
     def capped(self, most: int) -> Query:
         return replace(self, limit=most if self.limit is None else min(self.limit, most))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 from larkdoc.operators.collection import Collection
@@ -17,3 +20,15 @@ POSITION = {
 
 def collection(spark: SparkSession, sf_dir: str, name: str) -> Collection:
     return Collection(spark.read.parquet(f"{sf_dir}/{name}.parquet"), POSITION[name])
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder below the one the cluster names in spark.checkpoint.dir, which driver and executors share.
+
+    Where none is named, a local master may use a folder of its own; a cluster may not."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        named = tempfile.mkdtemp(prefix="larkdoc-")
+    return f"{named.rstrip('/')}/larkdoc/{label}-{uuid.uuid4().hex}"
