@@ -259,8 +259,8 @@ def texts(df: DataFrame) -> DataFrame:
 
 
 def from_rows(df: DataFrame, key: str, position: Column | None = None) -> DataFrame:
-    """A typed DataFrame as schemaless documents: columns become fields, the key also _id; NULL cells are null."""
-    fields = F.to_variant_object(F.struct(*df.columns))
+    """A typed DataFrame as schemaless documents: columns become fields, the key as text also _id; NULL cells are null."""
+    fields = F.to_variant_object(F.struct(F.col(key).cast("string").alias("_id"), *[c for c in df.columns if c != "_id"]))
     return df.select(F.col(key).cast("string").alias("_id"), (position if position is not None else F.col(key)).cast("long").alias("_pos"), fields.alias("doc"))
 
 

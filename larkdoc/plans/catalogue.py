@@ -187,7 +187,7 @@ def _mixed(s: SparkSession, d: str) -> D.Documents:
     v = (
         F.when(n == 0, F.lit('"v":null,')).when(n == 1, F.concat(F.lit('"v":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit(","))).when(n == 2, F.concat(F.lit('"v":'), (F.col("event_id") % 7).cast("string"), F.lit(",")))
         .when(n == 3, F.concat(F.lit('"v":'), (F.col("event_id") % 5).cast("string"), F.lit(".5e0,"))).when(n == 4, F.concat(F.lit('"v":"'), F.col("event_type"), F.lit('",')))
-        .when(n == 5, F.concat(F.lit('"v":{"$date":'), (F.col("event_id") * 1000).cast("string"), F.lit("},"))).when(n == 6, F.concat(F.lit('"v":{"$id":"'), F.lpad(F.hex("event_id"), 32, "0"), F.lit('"},')))
+        .when(n == 5, F.concat(F.lit('"v":{"$date":'), (F.col("event_id") * 1000).cast("string"), F.lit("},"))).when(n == 6, F.concat(F.lit('"v":{"$id":"'), F.lpad(F.lower(F.hex("event_id")), 32, "0"), F.lit('"},')))
         .when(n == 7, F.concat(F.lit('"v":['), (F.col("event_id") % 3).cast("string"), F.lit(',"x",null],'))).when(n == 8, F.concat(F.lit('"v":{"k":'), (F.col("event_id") % 4).cast("string"), F.lit("},"))).otherwise("")
     )
     text = F.concat(F.lit("{"), v, F.lit('"props":'), F.when(F.col("event_id") % 6 == 0, F.lit("{}")).otherwise(F.col("props")), F.lit(',"type":"'), F.col("event_type"), F.lit('"}'))
@@ -198,7 +198,7 @@ _N = "event_id % 11"
 _HAS = "(event_id % 6 <> 0)"
 _K = "(props->>'k')::BIGINT"
 for _name, _f, _sql in (
-    ("filter_exists_true", {"v": {"$exists": True}}, f"{_N} < 9"), ("filter_exists_false", {"props.k": {"$exists": False}}, f"NOT {_HAS}"), ("filter_missing_or_null", {"$or": [{"v": None}, {"v": {"$exists": False}}]}, f"{_N} IN (0, 9, 10)"),
+    ("filter_exists_true", {"v": {"$exists": True}}, f"{_N} < 9"), ("filter_exists_false", {"props.k": {"$exists": False}}, f"NOT {_HAS}"), ("filter_missing_or_null", {"$or": [{"v": None}, {"v": {"$exists": False}}]}, f"{_N} IN (0, 7, 9, 10)"),
     ("filter_type", {"v": {"$type": ["int64", "string", "object"]}}, f"{_N} IN (2, 4, 8)"), ("filter_type_number", {"v": {"$type": "float64"}}, f"{_N} = 3"), ("filter_type_special", {"v": {"$type": ["date", "id", "array"]}}, f"{_N} IN (5, 6, 7)"),
     ("filter_dotted_path_document", {"props.k": {"$gte": 50}}, f"{_HAS} AND {_K} >= 50"), ("filter_ne_mixed", {"v": {"$ne": 2}}, f"NOT ({_N} = 2 AND event_id % 7 = 2 OR {_N} = 7 AND event_id % 3 = 2)"),
     ("filter_range_mixed", {"v": {"$gte": 3, "$lt": "purchase"}}, f"({_N} = 2 AND event_id % 7 >= 3) OR ({_N} = 3 AND event_id % 5 + 0.5 >= 3) OR ({_N} = 4 AND event_type < 'purchase')"),
@@ -207,7 +207,7 @@ for _name, _f, _sql in (
 ):
     add(_name, f"SELECT event_id AS id FROM events WHERE {_sql}", lambda s, d, f=_f: _mixed(s, d).find(f).select(F.col("_id").cast("long").alias("id")))
 _ORDER = f"""CASE WHEN {_N} >= 9 THEN -1 ELSE [0, 1, 2, 2, 3, 4, 5, 7, 8][{_N} + 1] END, CASE {_N} WHEN 1 THEN (event_id % 2 = 0)::INT WHEN 2 THEN event_id % 7 WHEN 3 THEN event_id % 5 + 0.5 WHEN 5 THEN event_id ELSE 0 END,
-  CASE {_N} WHEN 4 THEN event_type WHEN 6 THEN lpad(hex(event_id), 32, '0') ELSE '' END, event_id"""
+  CASE {_N} WHEN 4 THEN event_type WHEN 6 THEN lpad(lower(hex(event_id)), 32, '0') ELSE '' END, event_id"""
 add("sort_mixed_kinds", f"SELECT event_id AS id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM events) WHERE rank <= 900",
     lambda s, d: (lambda r: s.createDataFrame([(int(x._id), i + 1) for i, x in enumerate(r.collect())], "id long, rank long"))(_mixed(s, d).find(sort=[("v", 1)], limit=900).select("_id")))
 add("group_count_mixed", f"SELECT CASE {_N} WHEN 2 THEN 'int64' WHEN 3 THEN 'float64' WHEN 1 THEN 'boolean' ELSE 'null' END AS kind, CASE {_N} WHEN 2 THEN (event_id % 7)::VARCHAR WHEN 3 THEN (event_id % 5)::VARCHAR || '.5' WHEN 1 THEN (event_id % 2 = 0)::VARCHAR ELSE 'null' END AS key, count(*) AS count FROM events WHERE {_N} IN (0, 1, 2, 3, 9, 10) GROUP BY 1, 2",
