@@ -215,10 +215,43 @@ def test_simhash(spark, rows, docs, tables, chunk, monkeypatch):
     assert sorted(x for x in kept if x is not None) == sorted({*low.values()}) and kept.count(None) == 1
 
 
+def test_simhash_crowded_keys(spark, monkeypatch):
+    """Every block of bits has few values, so every first bucket is crowded and dealt again, up to the chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", 24)
+    rnd = random.Random(12)
+    blocks = [[rnd.getrandbits(13) for _ in range(3)] for _ in range(5)]
+    fp = set()
+    while len(fp) < 500:
+        x = sum(rnd.choice(b) << (k * 64 // 5) for k, b in enumerate(blocks)) & (2**64 - 1)
+        for _ in range(rnd.choice([0, 1, 2, 4, 9])):
+            x ^= 1 << rnd.randrange(64)
+        fp.add(x)
+    sign = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    fps = spark.createDataFrame([(i, sign(x)) for i, x in enumerate(sorted(fp))], "doc_id long, fp long").repartition(3)
+    got = {r.fp: r.component_id for r in simhash.classes(fps).collect()}
+    order = sorted(fp)
+    low = list(range(len(order)))
+    links = [(i, j) for i in range(len(order)) for j in range(i) if (order[i] ^ order[j]).bit_count() <= 4]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            m = min(low[i], low[j])
+            changed |= low[i] != m or low[j] != m
+            low[i] = low[j] = m
+    assert links and got == {sign(x): low[i] for i, x in enumerate(order)}
+
+
+def test_simhash_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b", 1, 1), (1, "a", 2, 2), (1, "a", 2, 2), (2, "c d e f g", 3, 3)], "doc_id long, text string, n int, row int")
+    assert sorted((r.doc_id, r.text, r.n, r.row) for r in simhash.drop_near_duplicates(spark, docs).collect()) == [(1, "a", 2, 2), (2, "c d e f g", 3, 3)]
+    assert simhash.drop_near_duplicates(spark, docs.limit(0)).count() == 0
+
+
 def test_dense_buckets_keep_every_link():
     rnd = np.random.default_rng(5)
     fp = np.unique(rnd.integers(0, 2**64, 1, np.uint64) ^ (np.uint64(1) << rnd.integers(20, 60, (300, 3), np.uint64)).sum(1, dtype=np.uint64))
-    u, v = simhash.bucket_links(np.zeros(len(fp), np.int64), fp, np.zeros(len(fp), np.int8))
+    u, v = simhash.bucket_links(np.zeros(len(fp), np.int64), fp, np.zeros(len(fp), np.int8), simhash.table_of(fp))
     up = {int(x): int(x) for x in fp.view(np.int64)}
 
     def top(x):
