@@ -4,6 +4,7 @@ tables in the shared folder, and the byte tests that several of them use."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own where it is unset and the master is local (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="larkdoc-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -32,23 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    Cuts the lineage; the copy outlives any executor. Removed when the process ends."""
+    Cuts the lineage; the copy outlives any executor. Removed by discard(), or when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/larkdoc/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._staged_at = path
+    return got
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, path)
+            _STAGED[:] = [x for x in _STAGED if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are over; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has columns of these names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 @atexit.register
 def _sweep() -> None:
     for spark, path in _STAGED:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
-            return
+            continue
 
 
 def crc_mod(col, m: int):

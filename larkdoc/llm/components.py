@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        old, e = e, staged(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        discard(old, large)
         after = _state(e)
         if after == before:
             break

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 
 WINDOW = 10
 BLOCK_WORDS = 200_000  # of the benchmark in one automaton, which then takes some 100 MB at most
@@ -137,8 +137,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
-    got = scan(spark, docs, benchmark)
-    return got.where(F.col("_scan.n_hit") == 0).drop("_scan")
+    name, = fresh(docs, "_scan")
+    return scan(spark, docs, benchmark, name).where(F.col(f"{name}.n_hit") == 0).drop(name)
 
 
 OP6_SQL = r"""

@@ -1,24 +1,21 @@
 """Language identification by a convolutional network over bytes.
 
-Defined results: a null text, an empty text or one without a letter is `und` with score 0;
-with no labelled rows every text is `und`. Repeated rows get equal results, extra columns
-pass through, a text of any length is read whole in fixed-length windows."""
+Defined results: a null text, an empty text or one without a letter (a character of which
+str.isalpha is true) is `und` with score 0; with no labelled rows every text is `und`. Repeated rows get equal
+results, extra columns pass through whatever their names, an empty table gives an empty one, a text of any length is read whole in fixed-length windows."""
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN
-from .common import crc_mod, small_batches, table
+from .common import crc_mod, fresh, small_batches, table
 from .training import train
 
 MAX_TEXTS = 2400  # labelled texts the network is fitted on, at most twice this many if ids repeat
 EPOCHS = 4
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(docs: DataFrame, max_texts: int = MAX_TEXTS, epochs: int = EPOCHS) -> ByteCNN | None:
@@ -35,7 +32,7 @@ def predict(spark: SparkSession, model: ByteCNN | None, text: Column) -> Column:
     def language(s: pd.Series) -> pd.DataFrame:
         m = held.value
         out = pd.DataFrame({"lang": ["und"] * len(s), "score": [0.0] * len(s)})
-        use = [i for i, t in enumerate(s) if isinstance(t, str) and _LETTER.search(t)] if m else []
+        use = [i for i, t in enumerate(s) if isinstance(t, str) and any(map(str.isalpha, t))] if m else []
         if use:
             p = m.texts([s.iloc[i].encode("utf-8", "replace") for i in use])
             best = p.argmax(1)
@@ -54,5 +51,6 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """Documents whose language is known; those without a letter or below min_score go."""
-    got = docs.withColumn("_p", predict(spark, fit(docs), F.col("text")))
-    return got.where((F.col("_p.lang") != "und") & (F.col("_p.score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p, = fresh(docs, "_p")
+    got = docs.withColumn(p, predict(spark, fit(docs), F.col("text")))
+    return got.where((F.col(f"{p}.lang") != "und") & (F.col(f"{p}.score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,8 @@ blocks of one window each, in which only the smallest id matters; both combine m
 
 Defined results: null and empty texts have no words and lose none; texts under 13 words lose none;
 rows with one doc_id are one document and take nothing from each other; rows without doc_id lose
-nothing and aren't references; repeated rows get equal results; extra columns pass through."""
+nothing and aren't references; repeated rows get equal results; extra columns pass through, whatever their
+names (one called _kept is replaced); an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -26,12 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table
+from .common import discard, fresh, release, small_batches, staged, table
 
 WINDOW = 13
 RUN = 4
 HOT = 2000  # segments of one anchor from which its block is split
-BROADCAST_ROWS = 100_000  # documents with spans up to which they are sent to every executor
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -161,7 +161,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    anchors = docs.mapInPandas(_anchors, "doc_id long, rid long, anchor long, first int")
+    anchors = staged(docs.mapInPandas(_anchors, "doc_id long, rid long, anchor long, first int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", (F.col("n") > HOT).alias("hot"))
     marks = anchors.join(shared, "anchor").groupBy("doc_id", "rid").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("first"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("first"))).alias("hot")
@@ -169,6 +169,8 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     cut = docs.join(marks, ["doc_id", "rid"]).select("doc_id", "rid", "text", "cold", "hot").mapInPandas(_cut, "doc_id long, rid long, anchor long, first int, words string, hot boolean")
     n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = staged(cut, "segments")
+    discard(anchors)
+    release(spark)
     cold = cut.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "first").select("doc_id", "rid", "anchor", "first", "words")
     spans = cold.mapInPandas(_parse, "doc_id long, rid long, begin int, end int")
     every = spans.unionByName(_hot_spans(cut.where("hot"))).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
@@ -211,9 +213,8 @@ def _merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def remove_duplicates(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with a column _kept: struct(n_words, n_removed, text), the kept words joined by a space."""
     spark = docs.sparkSession
-    spans = staged(duplicate_spans(docs), "spans").withColumnRenamed("doc_id", "_d").withColumnRenamed("rid", "_r")
-    if spans.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
+    spans = staged(duplicate_spans(docs).toDF("d", "r", "begin", "end"), "spans")
+    release(spark)
 
     @F.pandas_udf("n_words long, n_removed long, text string")
     def keep(text: pd.Series, begin: pd.Series, end: pd.Series) -> pd.DataFrame:
@@ -228,10 +229,13 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
             rows.append((len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "text"])
 
-    rid = F.xxhash64(docs["doc_id"], docs["text"])
-    got = docs.join(spans, (docs["doc_id"].cast("long") == F.col("_d")) & (rid == F.col("_r")), "left")
     small_batches(spark)
-    return got.withColumn("_kept", keep(docs["text"], F.col("begin"), F.col("end"))).drop("begin", "end", "_d", "_r")
+    names = fresh(docs, "d", "r", "begin", "end", "rid")
+    spans = spans.toDF(*names[:4])
+    d, r, begin, end, rid = names
+    got = docs.withColumn(rid, F.xxhash64("doc_id", "text"))
+    got = got.join(spans, (F.col("doc_id").cast("long") == F.col(d)) & (F.col(rid) == F.col(r)), "left")
+    return got.withColumn("_kept", keep("text", begin, end)).select(*[f"`{c}`" for c in docs.columns if c != "_kept"], "_kept")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,3 +338,43 @@ def test_pipeline(spark, tables):
     rows = got.collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows) and not {100, 101, 102, 103} & {r.doc_id for r in rows}
     assert all(r.n_tokens == 0 for r in rows if r.doc_id == 104)  # its lines stand in another document
+
+
+def test_clashing_names_pass_through(spark):
+    """Columns named like those the operators use themselves keep their values."""
+    names = ["_p", "_scan", "begin", "end", "d", "r", "rid", "_d", "_r", "lang_pred"]
+    docs = spark.createDataFrame([(i, prose(random.Random(i // 2), 30), "en", "s", 1, *range(len(names))) for i in range(6)], SCHEMA + "".join(f", `{n}` int" for n in names))
+    bench = spark.createDataFrame([(1, prose(random.Random(0), 30))], "item_id long, text string")
+    kept = langid.keep_identified(spark, docs, 0.0)
+    clean = decontaminate.drop_contaminated(spark, docs, bench)
+    deduped = substrings.remove_duplicates(docs)
+    assert kept.columns == clean.columns == docs.columns and deduped.columns == [*docs.columns, "_kept"]
+    assert sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5] and kept.count() == 6
+    assert {r.doc_id: r._kept.n_removed for r in deduped.collect()} == {0: 0, 1: 30, 2: 0, 3: 30, 4: 0, 5: 30}
+    for df in (kept, clean, deduped):
+        assert all([r[n] for n in names] == list(range(len(names))) for r in df.collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from larkdoc.llm import queries
+
+    for name in ("op2_license_scan", "op3_media_columns", "op4_language_id", "op5_simhash_near_dedup", "op6_decontaminate", "op8_sentencepiece", "op10_quality"):
+        assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
+
+
+class _Always:
+    classes = ["xx"]
+
+    def texts(self, raws):
+        return np.ones((len(raws), 1))
+
+
+def test_letters(spark):
+    """Digits and signs that count as word characters are no letters."""
+    _Always.__module__ = "__main__"  # pickled by value
+    docs = spark.createDataFrame([(1, "\u00b2 \u00bd \u2167 \u2460"), (2, "1 abc"), (3, "\u6f22"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.p.lang for r in docs.select("doc_id", langid.predict(spark, _Always(), F.col("text")).alias("p")).collect()}
+    assert got == {1: "und", 2: "xx", 3: "xx", 4: "und"}
