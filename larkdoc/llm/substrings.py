@@ -162,15 +162,21 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
     anchors = staged(docs.mapInPandas(_anchors, "doc_id long, rid long, anchor long, first int"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("anchor", (F.col("n") > HOT).alias("hot"))
+    # steps of their own, so that the shuffle files of each go before the next one writes its own
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    shared = staged(shared.where("a < b").select("anchor", (F.col("n") > HOT).alias("hot")), "shared")
+    release(spark)
     marks = anchors.join(shared, "anchor").groupBy("doc_id", "rid").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("first"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("first"))).alias("hot")
     )
+    marks = staged(marks, "marks")
+    discard(anchors, shared)
+    release(spark)
     cut = docs.join(marks, ["doc_id", "rid"]).select("doc_id", "rid", "text", "cold", "hot").mapInPandas(_cut, "doc_id long, rid long, anchor long, first int, words string, hot boolean")
-    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = staged(cut, "segments")
-    discard(anchors)
+    discard(marks)
     release(spark)
+    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cold = cut.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "first").select("doc_id", "rid", "anchor", "first", "words")
     spans = cold.mapInPandas(_parse, "doc_id long, rid long, begin int, end int")
     every = spans.unionByName(_hot_spans(cut.where("hot"))).groupBy("doc_id", "rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))

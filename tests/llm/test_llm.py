@@ -365,16 +365,9 @@ def test_empty_tables(spark, tmp_path):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0, name
 
 
-class _Always:
-    classes = ["xx"]
-
-    def texts(self, raws):
-        return np.ones((len(raws), 1))
-
-
 def test_letters(spark):
     """Digits and signs that count as word characters are no letters."""
-    _Always.__module__ = "__main__"  # pickled by value
+    learn = spark.createDataFrame([(i, ("ab cd " if i % 2 else "xyz uvw ") * 20, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
     docs = spark.createDataFrame([(1, "\u00b2 \u00bd \u2167 \u2460"), (2, "1 abc"), (3, "\u6f22"), (4, None)], "doc_id long, text string")
-    got = {r.doc_id: r.p.lang for r in docs.select("doc_id", langid.predict(spark, _Always(), F.col("text")).alias("p")).collect()}
-    assert got == {1: "und", 2: "xx", 3: "xx", 4: "und"}
+    got = {r.doc_id: r.p.lang for r in docs.select("doc_id", langid.predict(spark, langid.fit(learn, epochs=1), F.col("text")).alias("p")).collect()}
+    assert got[1] == got[4] == "und" and {got[2], got[3]} <= {"en", "de"}
