@@ -109,9 +109,11 @@ def updated(df: DataFrame, f: dict, ops: dict, position: list[str], one: bool =
 
 
 def _guarded(df: DataFrame, rows: DataFrame, most: int, what: str) -> DataFrame:
-    """df, or an error when it runs if rows are more than `most`. The filter stays however columns are pruned."""
-    n = rows.select(F.lit(1).alias("one")).agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > most, F.raise_error(F.lit(what))).alias("_over"))
-    return df.join(F.broadcast(n), F.lit(True), "left").where(F.col("_over").isNull()).drop("_over")
+    """df, or an error when it runs if rows are more than `most`. A branch of a union, so that it runs
+    whatever columns are read and also where df is empty."""
+    over = F.when(F.col("_n") > most, F.raise_error(F.lit(what)))
+    n = rows.select(F.lit(1).alias("one")).agg(F.count("*").alias("_n")).where(over.isNotNull())
+    return df.union(n.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
 
 
 def update_many(df: DataFrame, f: dict, ops: dict, position: list[str]) -> DataFrame:
