@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="larkdoc-")
         spark.sparkContext.setCheckpointDir(named)
