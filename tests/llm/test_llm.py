@@ -371,3 +371,31 @@ def test_letters(spark):
     docs = spark.createDataFrame([(1, "\u00b2 \u00bd \u2167 \u2460"), (2, "1 abc"), (3, "\u6f22"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r.p.lang for r in docs.select("doc_id", langid.predict(spark, langid.fit(learn, epochs=1), F.col("text")).alias("p")).collect()}
     assert got[1] == got[4] == "und" and {got[2], got[3]} <= {"en", "de"}
+
+
+def test_line_dedup_cells():
+    """A cell's links span what brute force joins, over any sides, components and characters, and never join lines under 0.8."""
+    rnd = random.Random(4)
+    for _ in range(300):
+        n, letters = rnd.randint(2, 14), rnd.choice(["ab", "abcdefgh\0", "aé漢字\U0001f600\0"])
+        base = [rnd.choice(letters) for _ in range(rnd.randint(1, 60))]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = rnd.choice(letters)
+            texts.append("".join(w)[: rnd.randint(max(1, len(w) - 4), len(w))])
+        sides = [rnd.choice((1, 2)) for _ in texts] if rnd.random() < 0.5 else [0] * n
+        comps = [rnd.randint(0, n) for _ in texts]
+        sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+        links = [(i, j) for i in range(n) for j in range(i) if (sides[i] != sides[j] or not sides[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+        def joined(pairs, n=n, comps=comps):
+            lab = list(comps)
+            for u, v in pairs:
+                lab = [lab[u] if x == lab[v] else x for x in lab]
+            return {frozenset(j for j in range(n) if lab[j] == lab[i]) for i in range(n)}
+
+        got = lines.cell_links(list(range(n)), sides, comps, texts)
+        assert {(max(p), min(p)) for p in got} <= set(links)
+        assert joined(got) == joined(links)
