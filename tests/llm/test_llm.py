@@ -399,3 +399,21 @@ def test_line_dedup_cells():
         got = lines.cell_links(list(range(n)), sides, comps, texts)
         assert {(max(p), min(p)) for p in got} <= set(links)
         assert joined(got) == joined(links)
+
+
+def test_network_equals_naive_convolution():
+    """The windows' logits against a convolution written out position by position."""
+    rnd = np.random.default_rng(3)
+    model = bytecnn.ByteCNN(["a", "b", "c"], window=24, filters=2, dim=3, seed=5)
+    model.p["b"] = rnd.normal(0, 1, len(model.p["b"])).astype(np.float32)
+    x = rnd.integers(0, 256, (5, 24), dtype=np.uint8)
+    wide = max(model.widths)
+    kernel = model.p["k"].reshape(wide, model.dim, -1)
+    for row, got in zip(x, model.logits(x, block=2), strict=True):
+        pooled = []
+        for f in range(kernel.shape[2]):
+            width = model.widths[f // model.filters]
+            assert not kernel[width:, :, f].any()  # a filter sees its own width only
+            at = [sum(float(model.p["e"][row[i + k], d] * kernel[k, d, f]) for k in range(width) for d in range(model.dim)) for i in range(len(row) - wide + 1)]
+            pooled.append(max(0.0, max(at) + float(model.p["b"][f])))
+        assert np.allclose(got, np.array(pooled) @ model.p["w"] + model.p["c"], atol=1e-4)
