@@ -2,6 +2,7 @@
 long texts, ties, repeated rows and columns with clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -417,3 +418,17 @@ def test_network_equals_naive_convolution():
             at = [sum(float(model.p["e"][row[i + k], d] * kernel[k, d, f]) for k in range(width) for d in range(model.dim)) for i in range(len(row) - wide + 1)]
             pooled.append(max(0.0, max(at) + float(model.p["b"][f])))
         assert np.allclose(got, np.array(pooled) @ model.p["w"] + model.p["c"], atol=1e-4)
+
+
+def test_held_out_accuracy(spark):
+    """Languages and quality of documents that no training has seen, on a table of the shared test data."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{sf}/documents.parquet"):
+        pytest.skip("no test data here")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lang = langid.op4_language_id(spark, sf).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id")
+    right, n = lang.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 50 and right >= 0.95 * n, (right, n)
+    good = quality.op10_quality(spark, sf).where("held_out").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
+    right, n = good.agg(F.sum((F.col("quality") == F.col("predicted")).cast("int")), F.count("*")).first()
+    assert n > 50 and right >= 0.85 * n, (right, n)
