@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkdoc.llm import bytecnn, chat, components, decontaminate, jpeg, langid, licenses, lines, pieces, quality, simhash, substrings
+from larkdoc.llm import bytecnn, chat, common, components, decontaminate, jpeg, langid, licenses, lines, pieces, quality, simhash, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "Gamma", "d", "épée", "漢字", "x1", "THE", "of"]
@@ -432,3 +432,28 @@ def test_held_out_accuracy(spark):
     good = quality.op10_quality(spark, sf).where("held_out").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
     right, n = good.agg(F.sum((F.col("quality") == F.col("predicted")).cast("int")), F.count("*")).first()
     assert n > 50 and right >= 0.85 * n, (right, n)
+
+
+def test_line_dedup_shuffle(spark):
+    """The bands are shuffled once, by key and line alone: their rows are most of what op1 keeps on disk."""
+    docs = spark.createDataFrame([(i, f"line {i} of the table\nsome more {i}") for i in range(50)], "doc_id long, text string")
+    got = lines.buckets_of(lines.staged(lines.signatures(docs)))
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
+def test_staged_shuffle_files(spark):
+    """A staged table leaves no shuffle files behind, and the session's setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, blocks = spark.conf.get(key), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    there = shuffled()
+    got = common.staged(spark.range(100000).select("id", F.xxhash64("id").alias("h")).repartition(4, "h").groupBy("h").agg(F.min("id")))
+    assert got.count() == 100000
+    assert not [x for x in shuffled() - there if x.endswith(".data") and blocks.getFile(x).length() > 10000]
+    assert spark.conf.get(key) == before
