@@ -457,3 +457,14 @@ def test_staged_shuffle_files(spark):
     assert got.count() == 100000
     assert not [x for x in shuffled() - there if x.endswith(".data") and blocks.getFile(x).length() > 10000]
     assert spark.conf.get(key) == before
+
+
+def test_line_dedup_without_python(spark, monkeypatch):
+    """Line dedup is DataFrame functions alone, and finds lines of few shingles whatever their lengths."""
+    rows = [(1, "ab " * 20 + "x"), (2, "ab " * 200 + "x"), (3, "quite another line, of ordinary words that stand here once\nshort"), (4, "quite another line, of ordinary words that stand here twice"), (5, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, lambda *a, **b: pytest.fail("Python on the executors"))
+    want = lines.brute_force(rows)
+    assert sum(n for _, n, _ in want.values()) == 3
+    assert {r.doc_id: (r._lines.n_lines, r._lines.n_removed or 0, r._lines.text) for r in lines.dedup_lines(docs).collect()} == want
